@@ -7,12 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import simhash, systematic
+from tessera.llm import matroska, simhash, sstable, systematic, warc
 from tessera.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.deduplicate_pages(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_sstable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.read_shards(sstable.write_shards(table(spark, sf_dir, "documents"), word_tokenizer()))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -22,9 +37,16 @@ def op8_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return systematic.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.payload_digests(matroska.with_media(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_warc_revisits": op1_warc_revisits,
+    "op3_sstable_tokens": op3_sstable_tokens,
     "op6_simhash": op6_simhash,
     "op8_systematic_mix": op8_systematic_mix,
+    "op10_matroska": op10_matroska,
 }
 
 ORACLE_SQL: dict[str, str] = {
