@@ -23,6 +23,7 @@ ignored. Only one block, the index and 10 bits a key are in memory, not a shard.
 from __future__ import annotations
 
 import bisect
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -213,12 +214,20 @@ class Reader:
 class ChunkEncoder:
     """Encodes whole texts with a ``tokenizers`` tokenizer, remembering blank-free chunks.
 
-    For tokenizers that drop white space and never merge across it, a text's ids are those of its chunks in turn. Two
-    generations of remembered chunks bound the memory. Separators U+001C to U+001F, where Python's split and the
-    tokenizer differ, send a text to the library as it is.
+    For tokenizers that drop white space and never merge across it, a text's ids are those of its chunks in turn; for
+    those that also lower the case and part letters from marks, a chunk's are those of its lower-case word and of the
+    marks behind it. Whether a tokenizer does both is tried out on a few strings. Two generations of remembered chunks
+    bound the memory. Texts with separators U+001C to U+001F, where Python's split and the tokenizer differ, or with the
+    mark of special tokens go to the library whole; those with letters beyond U+02AF, where case and composition have
+    more rules, by chunks as they are.
     """
 
-    KEEP = 150_000
+    KEEP = 250_000
+    MARKS = ".,;:!?"
+    SPECIAL = re.compile("[\x1c-\x1f]|<\\|")
+    BEYOND = re.compile("[\u0130\u02b0-\U0010ffff]")
+    BETWEEN = "|"
+    TRIALS = ("The, quick.", "Élan; vital!! x", "don't stop, it's A.B?")
 
     def __init__(self, path: str):
         import os
@@ -231,25 +240,85 @@ class ChunkEncoder:
         self.kind = "<u2" if self.width == 2 else "<u4"
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        whole = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        parts = lambda text: [i for w in text.split() for i in whole(w)]
+        self.by_chunk = all(parts(x) == whole(x) == parts(x.replace(" ", "\n ")) for x in self.TRIALS)
+        split = lambda w: [x for x in (w.rstrip(self.MARKS).lower(), w[len(w.rstrip(self.MARKS)) :]) if x]
+        self.by_word = self.by_chunk and all([i for x in split(w) for i in whole(x)] == whole(w) for x in self.TRIALS for w in x.split())
+        mark = whole(self.BETWEEN)
+        self.between = mark[0] if len(mark) == 1 and mark[0] not in {i for x in self.TRIALS for i in whole(x)} else None
+
+    _made: dict[str, ChunkEncoder] = {}
+
+    @classmethod
+    def of(cls, path: str) -> ChunkEncoder:
+        """The encoder of this worker process, with what it remembers from earlier tasks."""
+        if path not in cls._made:
+            cls._made[path] = cls(path)
+        return cls._made[path]
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
+    def _unknown(self, chunks: list[str]) -> None:
+        """Remember chunks. They are encoded as one text with a mark of one id between them, and dealt out at its ids."""
+        single = [c for c in chunks if self.between is None or self.BETWEEN in c]
+        for c in single:
+            self.new[c] = self._pack(self.tokenizer.encode(c, add_special_tokens=False).ids)
+        joined = [c for c in chunks if c not in self.new]
+        for at in range(0, len(joined), 500):
+            part = joined[at : at + 500]
+            text = f" {self.BETWEEN} ".join([*part, ""])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            ends, data, start = (np.flatnonzero(ids == self.between) * self.width).tolist(), ids.tobytes(), 0
+            for c, end in zip(part, ends, strict=True):
+                self.new[c] = data[start:end]
+                start = end + self.width
+
     def encode(self, text: str) -> bytes:
-        if any(x in text for x in "\x1c\x1d\x1e\x1f"):
-            return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        words = text.split()
-        got = list(map(self.new.get, words))
-        if None in got:
-            missing = {w: self.old.get(w) for w, x in zip(words, got, strict=True) if x is None}
-            unknown = [w for w, x in missing.items() if x is None]
-            for w, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-                missing[w] = self._pack(e.ids)
-            got = [missing[w] if x is None else x for w, x in zip(words, got, strict=True)]
-            self.new |= missing
-            if len(self.new) > self.KEEP:
-                self.old, self.new = self.new, {}
-        return b"".join(got)
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        out, missing, get = [], (set(), set()), self.new.get
+        for text in texts:
+            if not self.by_chunk or self.SPECIAL.search(text):
+                out.append(self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids))
+                continue
+            simple = self.by_word and not self.BEYOND.search(text)
+            chunks = text.lower().split() if simple else text.split()
+            got = list(map(get, chunks))
+            if None in got:
+                missing[simple].update([c for c, x in zip(chunks, got, strict=True) if x is None])
+                out.append(chunks)
+            else:
+                out.append(b"".join(got))
+        for simple in (False, True):
+            if missing[simple]:
+                self._remember(missing[simple], simple)
+        out = [x if isinstance(x, bytes) else b"".join(map(self.new.__getitem__, x)) for x in out]
+        if len(self.new) > self.KEEP:
+            self.old, self.new = self.new, {}
+        return out
+
+    def _remember(self, missing: set[str], simple: bool) -> None:
+        new, old, parts, unknown = self.new, self.old, [], set()
+        for c in missing:
+            if c in old:
+                new[c] = old[c]
+                continue
+            word = c.rstrip(self.MARKS) if simple else c
+            if word != c and word and word[-1].isalpha():
+                parts.append((c, word, c[len(word) :]))
+                unknown.update(x for x in parts[-1][1:] if x not in new)
+            else:
+                unknown.add(c)
+        for x in [x for x in unknown if x in old]:
+            new[x] = old[x]
+            unknown.discard(x)
+        if unknown:
+            self._unknown(sorted(unknown))
+        for c, word, marks in parts:
+            new[c] = new[word] + new[marks]
 
 
 def _open(uri: str):
@@ -258,33 +327,43 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, most: int = 1 << 19) -> Iterator[tuple[int | None, bytes]]:
+    """(id, packed ids with the end id) of each (id, text) row, some texts at a time."""
+    for batch in batches:
+        ids, texts, total = [], [], 0
+        for k, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True), 1):
+            ids.append(doc_id)
+            texts.append(text.as_py())
+            total += len(texts[-1])
+            if total >= most or k == batch.num_rows:
+                encoder = ChunkEncoder.of(tokenizer)
+                end = np.array([end_id], encoder.kind).tobytes()
+                yield from zip(ids, [x + end for x in encoder.encode_many(texts)], strict=True)
+                ids, texts, total = [], [], 0
+
+
 def _write(uri: str, tokenizer: str, end_id: int, shard_bytes: int):
     def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder, rows, writer, out = TaskContext.get().partitionId(), None, [], None, None
-        end = None
+        part, rows, writer, out = TaskContext.get().partitionId(), [], None, None
 
         def close() -> None:
             writer.finish()
             out.close()
             rows.append((part, len(rows), name, writer.at, writer.entries, writer.tokens))
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if encoder is None:
-                    encoder = ChunkEncoder(tokenizer)
-                    end = np.array([end_id], encoder.kind).tobytes()
-                if writer is None:
-                    name = f"{uri}/shard-{part:06d}-{len(rows):04d}-{uuid4().hex}.sst"
-                    files, path = _open(name)
-                    files.create_dir(path.rpartition("/")[0], recursive=True)
-                    out = files.open_output_stream(path, compression=None)
-                    writer = Writer(out, encoder.width)
-                writer.add(key_of(doc_id), encoder.encode(text.as_py()) + end)
-                if writer.at >= shard_bytes:
-                    close()
-                    writer = None
+        for doc_id, value in encoded(batches, tokenizer, end_id):
+            if writer is None:
+                name = f"{uri}/shard-{part:06d}-{len(rows):04d}-{uuid4().hex}.sst"
+                files, path = _open(name)
+                files.create_dir(path.rpartition("/")[0], recursive=True)
+                out = files.open_output_stream(path, compression=None)
+                writer = Writer(out, ChunkEncoder.of(tokenizer).width)
+            writer.add(key_of(doc_id), value)
+            if writer.at >= shard_bytes:
+                close()
+                writer = None
         if writer is not None:
             close()
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
