@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import matroska, simhash, sstable, systematic, warc
+from tessera.llm import decontaminate, extendible, licenses, matroska, quality, simhash, sstable, systematic, warc
 from tessera.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,15 +28,32 @@ def op3_sstable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(sstable.write_shards(table(spark, sf_dir, "documents"), word_tokenizer()))
 
 
+def op4_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.withColumn("contaminated", F.size("item_ids") > 0)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extendible.shard(table(spark, sf_dir, "documents"), limit_bytes=1 << 20)
+
+
 def op8_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return systematic.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.payload_digests(matroska.with_media(table(spark, sf_dir, "documents")))
 
@@ -44,12 +61,32 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_warc_revisits": op1_warc_revisits,
     "op3_sstable_tokens": op3_sstable_tokens,
+    "op4_edit_decontamination": op4_edit_decontamination,
+    "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
+    "op7_extendible_shards": op7_extendible_shards,
     "op8_systematic_mix": op8_systematic_mix,
+    "op9_license_scan": op9_license_scan,
     "op10_matroska": op10_matroska,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_extendible_shards": r"""
+WITH rows_ AS (
+  SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS h
+  FROM documents
+), every AS (
+  SELECT doc_id, n_bytes, h, CAST(d AS INTEGER) AS d, h >> (60 - d) AS prefix FROM rows_, range(31) t(d)
+), sums AS (
+  SELECT d, prefix, CAST(sum(n_bytes) AS BIGINT) AS bucket_bytes FROM every GROUP BY d, prefix
+  HAVING sum(n_bytes) <= 1048576 OR min(h) = max(h)
+), placed AS (
+  SELECT e.*, s.bucket_bytes, row_number() OVER (PARTITION BY e.doc_id ORDER BY e.d) AS k
+  FROM every e JOIN sums s ON e.d = s.d AND e.prefix = s.prefix
+)
+SELECT doc_id, n_bytes, d AS depth, prefix, CAST(0 AS BIGINT) AS page, bucket_bytes FROM placed WHERE k = 1
+""",
     "op8_systematic_mix": r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
