@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, extendible, licenses, matroska, quality, simhash, sstable, systematic, warc
+from tessera.llm import decontaminate, extendible, licenses, matroska, quality, repeats, simhash, sstable, systematic, warc
 from tessera.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_column_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_sstable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(sstable.write_shards(table(spark, sf_dir, "documents"), word_tokenizer()))
 
@@ -60,6 +64,7 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_warc_revisits": op1_warc_revisits,
+    "op2_column_bwt_repeats": op2_column_bwt_repeats,
     "op3_sstable_tokens": op3_sstable_tokens,
     "op4_edit_decontamination": op4_edit_decontamination,
     "op5_quality": op5_quality,
