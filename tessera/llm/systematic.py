@@ -72,8 +72,27 @@ def numbered(rows: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 42) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) for each row of docs(doc_id, text, source)."""
+    return _mix(docs.select("doc_id", "source", word_count().alias("size")), weights, share, most, seed).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 42) -> DataFrame:
+    """docs with each row as often as the mix takes it, all columns kept.
+
+    Rows are told apart by their place in a written table, so repeated ids and rows are taken each for itself.
+    """
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    by = dict(zip(docs.columns, names, strict=True))
+    rows = materialize(docs.toDF(*names).withColumn("_place", F.monotonically_increasing_id()), work_uri(docs.sparkSession, "mix-rows"))
+    sized = rows.select("_place", F.col(by["doc_id"]).alias("doc_id"), F.col(by["source"]).alias("source"), word_count(by["text"]).alias("size"))
+    taken = _mix(sized, weights, share, most, seed).where("copies > 0").select("_place", "copies")
+    copied = rows.join(taken, "_place").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return copied.select(*[F.col(n).alias(c) for c, n in by.items()])
+
+
+def _mix(docs: DataFrame, weights: Sequence[float], share: float, most: float, seed: int) -> DataFrame:
+    """docs(doc_id, source, size, ...) with source_size, target, copies and taken."""
     uri = work_uri(docs.sparkSession, "mix")
-    sized = materialize(docs.select("doc_id", "source", word_count().alias("size")), f"{uri}/sized")
+    sized = materialize(docs, f"{uri}/sized")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = materialize(targets(sizes, weights, share, most).withColumn("_u", offset(seed)), f"{uri}/targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -81,4 +100,4 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: floa
     rows = numbered(sized, "source", ["size", "doc_id"]).join(goals, F.col("source").eqNullSafe(F.col("_s")))
     upto = lambda rank: F.floor(rank * F.col("_rate") + F.col("_u"))
     copies = (upto(F.col("rank") + 1) - upto(F.col("rank"))).cast("long")
-    return rows.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return rows.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
