@@ -1 +1 @@
-
+"""Types, index arithmetic and byte planes as column expressions."""

@@ -1 +1 @@
-
+"""Stored datasets and paths."""

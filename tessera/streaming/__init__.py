@@ -1 +1 @@
-
+"""Arrays that grow from streams."""
