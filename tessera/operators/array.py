@@ -191,3 +191,33 @@ def from_vectors(table: DataFrame, index: str, vector: str, rows: int, width: in
     """A column of equally long vectors as an array of rows x width."""
     cells = table.select(F.col(index).cast("bigint").alias("_i"), F.posexplode(vector).alias("_p", "value"))
     return from_table(cells, F.col("_i") * F.lit(width).cast("bigint") + F.col("_p"), "value", (rows, width))
+
+
+def dumps(array: ArrayFrame, most: int = 1 << 28) -> bytes:
+    """A small array as bytes: number of dimensions, shape, type name, then elements; strings go with their lengths."""
+    if array.size * max(8, dtype(array.dtype).size) > most:
+        raise MemoryError("too large for one message; write it to a dataset")
+    values, name = array.to_numpy(), array.dtype.encode()
+    head = np.array([array.ndim, *array.shape], "<u8").tobytes() + bytes([len(name)]) + name
+    if array.dtype != "string":
+        return head + values.astype(values.dtype.newbyteorder("<")).tobytes()
+    texts = [t.encode() for t in values.ravel().tolist()]
+    return head + np.array([len(t) for t in texts], "<u4").tobytes() + b"".join(texts)
+
+
+def loads(spark: SparkSession, data: bytes) -> ArrayFrame:
+    """The array that dumps wrote."""
+    ndim = int(np.frombuffer(data, "<u8", 1)[0])
+    shape = tuple(np.frombuffer(data, "<u8", ndim, 8).astype(int).tolist())
+    at = 8 * (ndim + 1)
+    name, at = data[at + 1 : at + 1 + data[at]].decode(), at + 1 + data[at]
+    n = prod(shape)
+    if dtype(name).size:
+        if len(data) - at != n * dtype(name).size:
+            raise ValueError("data size does not match the shape")
+        return from_numpy(spark, np.frombuffer(data, np.dtype(name).newbyteorder("<"), n, at).astype(name).reshape(shape))
+    lengths, at, texts = np.frombuffer(data, "<u4", n, at).tolist(), at + 4 * n, []
+    for k in lengths:
+        texts.append(data[at : at + k].decode())
+        at += k
+    return from_numpy(spark, np.array(texts, object).reshape(shape))
