@@ -124,8 +124,10 @@ def element_dtype(kind: Column) -> Column:
 
 def padded_grid(ragged: DataFrame, fill: object) -> DataFrame:
     """ragged(key, items) as (key, pos, value): every row as wide as the widest, filled up."""
-    width = ragged.agg(F.max(F.size("items")).alias("w"))
-    wide = ragged.crossJoin(F.broadcast(width)).select("key", "items", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("pos"))
+    width = ragged.agg(F.max(F.size("items"))).first()[0] or 0
+    if not width:
+        return ragged.limit(0).select("key", F.lit(0).cast("bigint").alias("pos"), F.lit(fill).alias("value"))
+    wide = ragged.select("key", "items", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("pos"))
     return wide.select("key", F.col("pos").cast("bigint").alias("pos"), F.coalesce(F.get("items", "pos"), F.lit(fill)).alias("value"))
 
 

@@ -15,10 +15,7 @@ def own(rows: DataFrame, layer: str) -> DataFrame:
 
 
 def visible(rows: DataFrame, layer: str, inherit: bool, key: str | Sequence[str] = "key") -> DataFrame:
-    """The rows(layer, key, ...) that a layer shows: its own first, then, if it inherits, the base's of other keys.
-
-    One shuffle at most: a grouping by key that prefers the layer's own row, so that neither side is read twice.
-    """
+    """The rows(layer, key, ...) that a layer shows: its own, and, if it inherits, the base's of other keys."""
     if not inherit or layer == BASE:
         return own(rows, layer)
     keys = [key] if isinstance(key, str) else list(key)
