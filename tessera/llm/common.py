@@ -53,6 +53,3 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, weight: str, spread:
     joined = salted.join(cold, [key, "_salt"], "left")
     return joined.select(*left.columns, *[F.coalesce(F.col("_hot")[c], F.col("_cold")[c]).alias(c) for c in values])
 
-
-def chunks(total_rows: int, per_chunk: int, least: int = 1) -> int:
-    return max(least, -(-total_rows // per_chunk))
