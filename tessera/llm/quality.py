@@ -40,8 +40,8 @@ HIDDEN = 32
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 FEATURES = 3 * SIZE + 1
-#: Tokens that are summed or pooled at once.
-STEP = 1 << 19
+#: Words that are summed at once, and words that are pooled at once.
+STEP, POOL_STEP = 1 << 19, 1 << 15
 
 
 class Buckets(dict):
@@ -124,13 +124,13 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 def pooled(texts, vectors: np.ndarray, buckets: Buckets) -> np.ndarray:
     """FEATURES numbers for each text: mean, deviation and mean product with the next word's vector, and the length."""
     out = [np.zeros((0, FEATURES))]
-    for a, b in _pieces(texts):
+    for a, b in _pieces(texts, 1 << 20):
         words, counts = words_of(texts[a:b], buckets)
         text = np.repeat(np.arange(len(counts)), counts)
         sums = np.zeros((3, len(counts), SIZE))
-        for at in range(0, len(words), STEP):
-            rows, after = text[at : at + STEP], text[at + 1 : at + STEP + 1]
-            got = vectors[words[at : at + STEP + 1]]
+        for at in range(0, len(words), POOL_STEP):
+            rows, after = text[at : at + POOL_STEP], text[at + 1 : at + POOL_STEP + 1]
+            got = vectors[words[at : at + POOL_STEP + 1]]
             now, pairs = got[: len(rows)], np.zeros((len(rows), SIZE), np.float32)
             pairs[: len(after)] = got[: len(after)] * got[1 : len(after) + 1] * (rows[: len(after)] == after)[:, None]
             cuts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])

@@ -222,7 +222,7 @@ class ChunkEncoder:
     more rules, by chunks as they are.
     """
 
-    KEEP = 600_000
+    KEEP = 400_000
     MARKS = ".,;:!?"
     SPECIAL = re.compile("[\x1c-\x1f]|<\\|")
     BEYOND = re.compile("[\u0130\u02b0-\U0010ffff]")
