@@ -41,7 +41,7 @@ from tessera.llm.common import materialize, skew_join, text_or_empty, work_uri
 
 LENGTH = 400
 GRAM = 200
-MOST = 4096
+MOST = 1024
 #: Windows of a run, from level to level, for oversized groups.
 WIDTHS = (25, 5, 1)
 #: Stretches of one batch of the column-wise construction.
