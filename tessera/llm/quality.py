@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,15 +46,23 @@ STEP, POOL_STEP = 1 << 19, 1 << 15
 
 
 class Buckets(dict):
-    """The bucket of each word, remembered for up to 300,000 words."""
+    """The packed buckets of a blank-free chunk's words, remembered for up to 300,000 chunks."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, chunk: str) -> bytes:
         if len(self) > 300_000:
             self.clear()
-        marked = word.lower() + ("^" if len(word) > 1 and word.isupper() else "")
-        bucket = zlib.crc32(marked.encode("utf-8", "surrogatepass")) % WORDS
-        self[word] = bucket
-        return bucket
+        found, last = array("H"), chunk[-1]
+        if chunk.isalpha():  # the two commonest cases, as the pattern would part them
+            words = (chunk,)
+        elif chunk[:-1].isalpha() and not (last.isalnum() or last == "_"):
+            words = (chunk[:-1], last)
+        else:
+            words = WORD.findall(chunk)
+        for word in words:
+            marked = word.lower() + ("^" if len(word) > 1 and word.isupper() else "")
+            found.append(zlib.crc32(marked.encode("utf-8", "surrogatepass")) % WORDS)
+        self[chunk] = packed = found.tobytes()
+        return packed
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -65,12 +74,8 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
 
 def words_of(texts, buckets: Buckets) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of the words of all texts, and each text's number of words."""
-    every, counts = [], []
-    for text in texts:
-        found = WORD.findall(text.as_py() or "")
-        every.extend(map(buckets.__getitem__, found))
-        counts.append(len(found))
-    return np.array(every, np.int64), np.array(counts, np.int64)
+    packed = [b"".join(map(buckets.__getitem__, (text.as_py() or "").split())) for text in texts]
+    return np.frombuffer(b"".join(packed), np.uint16).astype(np.int64), np.array([len(x) // 2 for x in packed], np.int64)
 
 
 def _pieces(column, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
