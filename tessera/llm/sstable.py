@@ -222,11 +222,12 @@ class ChunkEncoder:
     more rules, by chunks as they are.
     """
 
-    KEEP = 400_000
+    KEEP = 600_000
     MARKS = ".,;:!?"
     SPECIAL = re.compile("[\x1c-\x1f]|<\\|")
     BEYOND = re.compile("[\u0130\u02b0-\U0010ffff]")
     BETWEEN = "|"
+    ODD = re.compile(SPECIAL.pattern.replace("|<\\|", "|<") + "|" + BEYOND.pattern)
     TRIALS = ("The, quick.", "Élan; vital!! x", "don't stop, it's A.B?")
 
     def __init__(self, path: str):
@@ -281,10 +282,11 @@ class ChunkEncoder:
     def encode_many(self, texts: list[str]) -> list[bytes]:
         out, missing, get = [], (set(), set()), self.new.get
         for text in texts:
-            if not self.by_chunk or self.SPECIAL.search(text):
+            plain = self.by_chunk and not self.ODD.search(text)
+            if not plain and (not self.by_chunk or self.SPECIAL.search(text)):
                 out.append(self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids))
                 continue
-            simple = self.by_word and not self.BEYOND.search(text)
+            simple = self.by_word and (plain or not self.BEYOND.search(text))
             chunks = text.lower().split() if simple else text.split()
             got = list(map(get, chunks))
             if None in got:
