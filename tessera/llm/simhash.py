@@ -160,21 +160,3 @@ def _classes(fps: DataFrame, threshold: int, uri: str) -> DataFrame:
     rooted = materialize(rooted, f"{uri}/rooted")
     least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m")), f"{uri}/least")
     return materialize(skew_join(rooted, least, "root", "m", ["fp"]).select("fp", "n", "root", "component_id"), f"{uri}/classes")
-
-
-def keep_one(docs: DataFrame, threshold: int = 2) -> DataFrame:
-    """One row of docs for each component: the one with the smallest doc_id (null ids last), all columns kept.
-
-    Rows are told apart by their place in a written table, so repeated rows and ids leave one row too.
-    """
-    uri = work_uri(docs.sparkSession, "simhash-keep")
-    names = [f"_c{i}" for i in range(len(docs.columns))]
-    rows = materialize(docs.toDF(*names).withColumn("_row", F.monotonically_increasing_id()), f"{uri}/rows")
-    by = dict(zip(docs.columns, names, strict=True))
-    ids = rows.select(F.col("_row").alias("doc_id"), F.col(by["text"]).alias("text"))
-    fps = materialize(fingerprints(ids), f"{uri}/fps").withColumnRenamed("doc_id", "_row")
-    order = F.struct(F.col(by["doc_id"]).isNull().alias("none"), F.col(by["doc_id"]).alias("id"), F.col("_row").alias("row"))
-    fps = materialize(fps.join(rows.select("_row", by["doc_id"]), "_row").select("_row", "fp", order.alias("place")), f"{uri}/placed")
-    classes = _classes(fps.select(F.col("_row").alias("doc_id"), "fp"), threshold, f"{uri}/classes")
-    first = fps.groupBy("fp").agg(F.min("place").alias("place")).join(classes.select("fp", "root"), "fp").groupBy("root").agg(F.min("place").alias("place"))
-    return rows.join(first.select(F.col("place.row").alias("_row")), "_row", "left_semi").select(*[F.col(n).alias(c) for c, n in by.items()])
