@@ -6,11 +6,14 @@ BLOCK + 1 shingles lies within one. Templates are cut into pieces of that size.
 has similarity 1 / (2 BLOCK); with BANDS bands of one row each, it collides in some band with probability
 1 - (1 - 1 / 8) ** 60 = 0.9997, and longer pieces more surely. A collision proposes the piece's template near the window.
 
+Templates of fewer than five words are one shingle of their whole length. Windows don't retrieve them: each run of as
+many words in the text is looked up by its hash.
+
 A template matches where a run of ``ceil(1.25 t)`` shingles holds at least 80 % of its t distinct shingles; this is
 checked on the words themselves, around each proposal.
 
-Defined cases: null and empty texts, and those of fewer than five words, match nothing; repeated rows and null ids are
-rows of their own; templates of fewer than five words are refused; an empty table gives an empty result; other columns
+Defined cases: null and empty texts match nothing, and those of fewer than five words only shorter templates; repeated
+rows and null ids are rows of their own; templates without words are refused; an empty table gives an empty result; other columns
 are ignored. The whole text is scanned; memory holds the shingle hashes of a few MB of text.
 """
 
@@ -56,6 +59,15 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
 )
 
+# Notices of fewer than SHINGLE words, which are found only whole. Those of SPDX are the lines "SPDX-License-Identifier: name".
+SHORT_TEMPLATES = (
+    ("All-rights-reserved", "All rights reserved."),
+    *((name, f"SPDX-License-Identifier: {name}") for name in (
+        "MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later",
+        "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC0-1.0",
+    )),
+)
+
 
 def words(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
@@ -74,11 +86,11 @@ class WordHashes(dict):
         return found
 
 
-def shingle_hashes(hashes: np.ndarray) -> np.ndarray:
+def shingle_hashes(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """Hashes of the shingles of one sequence of word hashes."""
-    n = max(0, len(hashes) - SHINGLE + 1)
+    n = max(0, len(hashes) - size + 1)
     out = np.zeros(n, np.uint64)
-    for i in range(SHINGLE):
+    for i in range(size):
         out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n]
     return out ^ out >> np.uint64(29)
 
@@ -91,10 +103,15 @@ class Scanner:
         self.b = rng.integers(0, 1 << 63, BANDS, np.uint64)
         self.table: list[dict[int, set[int]]] = [defaultdict(set) for _ in range(BANDS)]
         self.maybe = np.zeros((BANDS, 1 << 16), bool)
+        self.short: dict[int, dict[int, list[tuple[str, list[str]]]]] = {}  # by number of words and hash
         for name, text in templates:
             tokens = words(text)
+            if not tokens:
+                raise ValueError(f"the template {text!r} has no words")
             if len(tokens) < SHINGLE:
-                raise ValueError(f"the template {text!r} has fewer than {SHINGLE} words")
+                whole = int(shingle_hashes(np.array([self.hashes[w] for w in tokens], np.uint64), len(tokens))[0])
+                self.short.setdefault(len(tokens), {}).setdefault(whole, []).append((name, tokens))
+                continue
             k = len(self.templates)
             self.templates.append((name, frozenset(shingles(tokens))))
             every = shingle_hashes(np.array([self.hashes[w] for w in tokens], np.uint64))
@@ -131,17 +148,27 @@ class Scanner:
                 best = max(best, len({x for x in here[i : i + span] if x is not None}))
         return best / len(wanted)
 
+    def whole(self, tokens: list[str], hashes: np.ndarray, found: dict[str, float]) -> None:
+        """Adds the short templates that a text holds."""
+        for size, known in self.short.items():
+            every = shingle_hashes(hashes, size)
+            for whole, templates in known.items():
+                for i in np.flatnonzero(every == np.uint64(whole)).tolist():
+                    found.update((name, 1.0) for name, wanted in templates if tokens[i : i + size] == wanted)
+
     def scan(self, texts: list[list[str]]) -> list[dict[str, float]]:
         """The largest containment of each matching template's license, for each text."""
         parts, starts, total = [], [], 0
-        for tokens in texts:
+        out: list[dict[str, float]] = [{} for _ in texts]
+        for tokens, found in zip(texts, out, strict=True):
             starts.append(total)
-            every = shingle_hashes(np.fromiter(map(self.hashes.__getitem__, tokens), np.uint64, len(tokens)))
+            hashes = np.fromiter(map(self.hashes.__getitem__, tokens), np.uint64, len(tokens))
+            self.whole(tokens, hashes, found)
+            every = shingle_hashes(hashes)
             if len(every):
                 fill = -len(every) % BLOCK + BLOCK  # the last shingle once more, up to a whole block and one beyond
                 parts.append(np.concatenate([every, np.full(fill, every[-1])]).reshape(-1, BLOCK))
                 total += len(parts[-1])
-        out: list[dict[str, float]] = [{} for _ in texts]
         if not parts:
             return out
         for block, template in sorted(self.proposals(np.concatenate(parts))):
@@ -153,7 +180,7 @@ class Scanner:
         return out
 
 
-def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES + SHORT_TEMPLATES, least: float = LEAST) -> DataFrame:
     """(doc_id, licenses, containment) per row: the sorted names of the matching licenses and the largest containment."""
 
     def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
