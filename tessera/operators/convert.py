@@ -10,6 +10,8 @@ from tessera.functions.indexing import with_row_index
 from tessera.operators.array import ArrayFrame
 
 THRESHOLD = 100
+#: Values in one row of an exported array at most.
+ENVELOPE_CELLS = 65_536
 CSV_SAMPLE = 100
 INTEGER = r"^[+-]?[0-9]+$"
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -82,12 +84,27 @@ def array_to_csv(array: ArrayFrame) -> DataFrame:
 
 
 def envelope(array: ArrayFrame) -> DataFrame:
-    """One row: the array as the JSON of dtype, shape and flat data."""
+    """One row: the array as the JSON of dtype, shape and flat data; for arrays that fit one row."""
     data = F.transform(F.sort_array(F.collect_list(F.struct("idx", "value"))), lambda c: c["value"])
     shape = F.array(*[F.lit(n).cast("bigint") for n in array.shape]).cast("array<bigint>")
     return array.cells.agg(F.to_json(F.struct(F.lit(array.dtype).alias("dtype"), shape.alias("shape"), data.alias("data"))).alias("json"))
 
 
+def envelope_blocks(array: ArrayFrame, cells: int = ENVELOPE_CELLS) -> DataFrame:
+    """(block, json): the envelope of a small array, else a header as block 0 and its data in blocks of so many cells.
+
+    No row holds more than ``cells`` values. The header counts the blocks; block k has the cells from (k - 1) * cells.
+    """
+    if array.size <= cells:
+        return envelope(array).select(F.lit(0).cast("bigint").alias("block"), "json")
+    shape = F.array(*[F.lit(n).cast("bigint") for n in array.shape]).cast("array<bigint>")
+    header = F.to_json(F.struct(F.lit(array.dtype).alias("dtype"), shape.alias("shape"), F.lit(-(-array.size // cells)).cast("bigint").alias("blocks")))
+    first = array.cells.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("block"), header.alias("json"))
+    block = F.call_function("div", F.col("idx"), F.lit(cells).cast("bigint")) + F.lit(1).cast("bigint")
+    data = F.transform(F.sort_array(F.collect_list(F.struct("idx", "value"))), lambda c: c["value"])
+    return first.unionByName(array.cells.groupBy(block.alias("block")).agg(F.to_json(F.struct(data.alias("data"))).alias("json")))
+
+
 def strip_preamble(text: Column) -> Column:
     """From the first { to the last }."""
     return F.regexp_extract(text, r"(?s)(\{.*\})", 1)

@@ -452,6 +452,14 @@ def json_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert.envelope(arange(spark, 0, 15, 3))
 
 
+@query("""
+SELECT CAST(0 AS BIGINT) AS block, '{"dtype":"int64","shape":[' || count(*) || '],"blocks":' || CAST(ceil(count(*) / 1000.0) AS BIGINT) || '}' AS json FROM orders
+UNION ALL SELECT CAST(o_orderkey AS BIGINT) // 1000 + 1, '{"data":[' || string_agg(CAST(o_custkey AS VARCHAR), ',' ORDER BY o_orderkey) || ']}' FROM orders GROUP BY 1""")
+def json_envelope_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("bigint").alias("o_custkey"))
+    return convert.envelope_blocks(from_table(orders, "o_orderkey", "o_custkey", orders.count()), 1000)
+
+
 _LINES = "SELECT p_partkey, p_size, concat_ws(',', CAST(p_size AS VARCHAR), '\"' || replace(p_name, '\"', '\"\"') || '\"', '') AS line FROM part"
 
 
@@ -478,6 +486,13 @@ def csv_export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert.array_to_csv(arange(spark, 1000).reshape((250, 4)))
 
 
+@query("SELECT CAST(o_orderkey AS BIGINT) // 4 AS row, string_agg(CAST(o_custkey AS VARCHAR), ',' ORDER BY o_orderkey) AS line FROM orders GROUP BY 1")
+def csv_export_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("bigint").alias("o_custkey"))
+    n = orders.count()
+    return convert.array_to_csv(from_table(orders, "o_orderkey", "o_custkey", n).reshape((n // 4, 4)))
+
+
 @query("SELECT doc_id, CASE WHEN n_chars > 1000 THEN 'array' ELSE 'metadata' END AS place FROM documents")
 def route_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", convert.route(F.col("n_chars"), 1000).alias("place"))

@@ -105,10 +105,10 @@ def from_json(spark: SparkSession, source: str, path: str, config: Config | None
 
 
 def to_json(ds: Dataset) -> DataFrame:
-    """(key, json): the envelope of each array; one row per array, so no document has to fit one task."""
+    """(key, block, json): the envelope of each array, of larger ones a header (block 0) and blocks of bounded size."""
     out = None
     for key in ds.keys():
-        row = convert.envelope(ds[key]).select(F.lit(key).alias("key"), "json")
+        row = convert.envelope_blocks(ds[key]).select(F.lit(key).alias("key"), "block", "json")
         out = row if out is None else out.unionByName(row)
     if out is None:
         raise ValueError("the dataset has no arrays")
