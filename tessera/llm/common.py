@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +18,38 @@ HOT_SHARE = 0.001
 HOT_LEAST = 64
 
 
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def work_uri(spark: SparkSession, name: str) -> str:
-    """A new folder name below the shared folder of ``spark.checkpoint.dir`` (a temporary one where that is unset)."""
+    """A new folder name below the shared folder of ``spark.checkpoint.dir``; a temporary one where that is unset in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    uri = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(uri)
+    return uri
+
+
+def drop_folder(spark: SparkSession, uri: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Deletes the work folders that were asked for inside; what is to stay must be written elsewhere before the end."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for uri in made:
+            drop_folder(spark, uri)
 
 
 def materialize(df: DataFrame, uri: str) -> DataFrame:

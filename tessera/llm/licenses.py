@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import text_or_empty
+from tessera.llm.license_texts import TEXTS
 
 SHINGLE = 5
 LEAST = 0.8
@@ -140,12 +141,16 @@ class Scanner:
         wanted = self.templates[template][1]
         span = -(-5 * len(wanted) // 4)
         first = max(0, around - len(wanted) - span)
-        near = shingles(tokens[first : around + 2 * BLOCK + len(wanted) + span + SHINGLE])
-        here = [s if s in wanted else None for s in near]
-        best = 0
-        for i, s in enumerate(here):
-            if s is not None:
-                best = max(best, len({x for x in here[i : i + span] if x is not None}))
+        held: dict[tuple[str, ...], int] = defaultdict(int)
+        near, best = shingles(tokens[first : around + 2 * BLOCK + len(wanted) + span + SHINGLE]), 0
+        for i, s in enumerate(near):
+            if s in wanted:
+                held[s] += 1
+            if i >= span and (gone := near[i - span]) in wanted:
+                held[gone] -= 1
+                if not held[gone]:
+                    del held[gone]
+            best = max(best, len(held))
         return best / len(wanted)
 
     def whole(self, tokens: list[str], hashes: np.ndarray, found: dict[str, float]) -> None:
@@ -171,8 +176,13 @@ class Scanner:
                 total += len(parts[-1])
         if not parts:
             return out
+        seen: dict[int, int] = {}  # by template, the last block that was looked around
         for block, template in sorted(self.proposals(np.concatenate(parts))):
             k = int(np.searchsorted(starts, block, "right")) - 1
+            before = seen.get(template, -1)
+            if before >= starts[k] and (block - before) * BLOCK <= len(self.templates[template][1]):
+                continue  # every run that meets this window was looked at from there
+            seen[template] = block
             contained = self.best(texts[k], template, (block - starts[k]) * BLOCK)
             name = self.templates[template][0]
             if contained >= self.least and contained > out[k].get(name, 0):
@@ -180,7 +190,7 @@ class Scanner:
         return out
 
 
-def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES + SHORT_TEMPLATES, least: float = LEAST) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES + SHORT_TEMPLATES + TEXTS, least: float = LEAST) -> DataFrame:
     """(doc_id, licenses, containment) per row: the sorted names of the matching licenses and the largest containment."""
 
     def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -124,13 +124,18 @@ def read_vint(data: bytes, at: int, keep_marker: bool = False) -> tuple[int, int
 
 def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, int]]:
     """(id, place, start of body, end of body) in document order; bodies of masters are walked into."""
+    ends = [end]  # of the masters that ``at`` is in
     while at < end:
+        while ends[-1] <= at:
+            ends.pop()
         kind, body = read_vint(data, at, keep_marker=True)
         n, body = read_vint(data, body)
-        stop = end if n < 0 else body + n
-        if stop > end:
+        stop = ends[-1] if n < 0 else body + n
+        if stop > ends[-1]:
             raise ValueError(f"element {kind:#x} at {at} ends beyond its parent")
         yield kind, at, body, stop
+        if kind in MASTERS:
+            ends.append(stop)
         at = body if kind in MASTERS else stop
 
 

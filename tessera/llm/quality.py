@@ -12,8 +12,9 @@
 Scores depend on the text alone. Rows whose crc32 of the id's text modulo 4 is 2 are held out from learning labels.
 
 Defined cases: a null text counts as empty and is pooled to zeros, so it gets a score too; a null id is not held out
-and never labelled; null labels are ignored and repeated ones count each; without labels every score is 0.5, with one
-class the smoothed base rate; repeated rows get equal scores; an empty table gives an empty result; other columns are
+and never labelled; null labels are ignored; repeated ones of an id count once, as do repeated rows of a
+labelled id (the first text in order); without labels every score is 0.5, with one class the smoothed
+base rate; repeated rows get equal scores; an empty table gives an empty result; other columns are
 ignored by ``scores`` and kept by ``keep_good``.
 """
 
@@ -29,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessera.llm.common import text_or_empty
 
@@ -206,10 +208,11 @@ def held_out() -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, Network]:
-    """Word vectors from all of docs, and the network from at most about ``sample`` labelled training rows."""
+    """Word vectors from all of docs, and the network from about ``sample`` labelled ids at most, each with one row per label."""
     vectors = word_vectors(docs)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null").where(~held_out())
-    n = known.count()
+    known = known.distinct()  # so there are two rows of an id at most
+    n = known.agg(F.count_distinct("doc_id")).first()[0]
     if n > sample:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(n)) < sample)
 
@@ -218,15 +221,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(pooled(batch.column(0), vectors, buckets)), pa.list_(pa.float64()))], names=["quality", "x"])
 
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(known), "doc_id").select("text", "quality").mapInArrow(features, "quality int, x array<double>").collect()
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(known), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("text", "quality").mapInArrow(features, "quality int, x array<double>").collect()
     rows.sort(key=lambda r: (r.quality, r.x))  # the same network whatever the order of tasks
     return vectors, fit(np.array([r.x for r in rows]).reshape(len(rows), FEATURES), np.array([r.quality for r in rows], int))
 
 
 def scores(docs: DataFrame, model: tuple[np.ndarray, Network], keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of docs and ``_score``, per row."""
+    """The columns ``keep`` of docs under the names _k0, _k1, ..., and ``_score``, per row."""
     vectors, net = model
-    rows = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], text_or_empty().alias("_t"))
+    own = [f"_c{i}" for i in range(len(docs.columns))]
+    by = dict(zip(docs.columns, own, strict=True))
+    rows = docs.toDF(*own).select(*[F.col(by[c]).alias(f"_k{i}") for i, c in enumerate(keep)], text_or_empty(by["text"]).alias("_t"))
     names = rows.columns[:-1]
 
     def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,16 +240,17 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, Network], keep: list[str])
             x = pooled(batch.column(batch.num_columns - 1), vectors, buckets)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(net.probabilities(x))], names=[*names, "_score"])
 
-    schema = ", ".join([*(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names), "_score double"])
-    return rows.mapInArrow(per_partition, schema).select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "_score")
+    schema = StructType([*rows.schema.fields[:-1], StructField("_score", DoubleType())])
+    return rows.mapInArrow(per_partition, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row."""
-    rows = scores(docs, train(docs, labels), ["doc_id"])
+    rows = scores(docs, train(docs, labels), ["doc_id"]).withColumnRenamed("_k0", "doc_id")
     return rows.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that the classifier rejects, all columns kept."""
-    return scores(docs, train(docs, labels), docs.columns).where(F.col("_score") >= threshold).select(*docs.columns)
+    rows = scores(docs, train(docs, labels), docs.columns).where(F.col("_score") >= threshold)
+    return rows.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, extendible, licenses, matroska, quality, repeats, simhash, sstable, systematic, warc
-from tessera.llm.common import table
+from tessera.llm.common import materialize, table, work_uri
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,7 +34,7 @@ def op3_sstable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return rows.withColumn("contaminated", F.size("item_ids") > 0)
+    return rows.withColumn("contaminated", F.col("least_distance").isNotNull())
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,8 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matroska.payload_digests(matroska.with_media(table(spark, sf_dir, "documents")))
+    media = materialize(matroska.with_media(table(spark, sf_dir, "documents")), work_uri(spark, "media"))
+    return matroska.payload_digests(media)
 
 
 QUERIES: dict[str, Query] = {

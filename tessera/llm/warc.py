@@ -1,9 +1,9 @@
 """WARC archives and the resolution of revisits.
 
-``write_archives`` writes one gzip member per page; ``read_headers`` lists the records; ``resolve`` shuffles the headers
+``write_archives`` writes one gzip member per page; ``read_records`` lists the records and checks each response against its digest; ``resolve`` shuffles the headers
 (never the payloads) by payload digest and joins every later record to the first response of its digest;
 ``write_deduplicated`` copies the archives, with responses kept and revisits written without payload, under fresh
-headers; ``read_records`` reads archives back and checks each response against its digest.
+headers.
 
 Record order within a digest is (page id, archive, offset), null ids last: the first is the response, so of repeated
 rows one is the response and the others revisit it. Payloads smaller than ``least`` bytes are always responses.
@@ -123,21 +123,22 @@ def write_archives(pages: DataFrame, uri: str) -> DataFrame:
     """Write a response record per row of pages(page_id, url, html); the manifest (path, n_bytes)."""
 
     def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        archives = Archives(f"{uri}/archives")
+        archives, task, k = Archives(f"{uri}/archives"), uuid4().hex, 0
         for batch in batches:
             for page_id, url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 payload = (html.as_py() or "").encode("utf-8", "surrogatepass")
                 target = None if url is None else url.replace("\r", "%0D").replace("\n", "%0A")
                 digest = payload_digest(payload)
-                fields = [("WARC-Record-ID", record_id("page", page_id, url, digest)), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha1:{digest}"), (ROW, page_id)]
+                fields = [("WARC-Record-ID", record_id(task, k)), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha1:{digest}"), (ROW, page_id)]
                 archives.add(record("response", fields, len(payload), payload))
+                k += 1
         yield archives.manifest()
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     return materialize(rows.mapInArrow(per_partition, "path string, n_bytes long"), f"{uri}/manifest")
 
 
-HEADERS = "path string, offset long, n_bytes long, page_id long, record_id string, record_type string, payload_bytes long, payload_digest string, refers_to long"
+HEADERS = "path string, offset long, n_bytes long, page_id long, record_id string, record_type string, payload_bytes long, payload_digest string, refers_to long, target string, date string"
 
 
 def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +155,7 @@ def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     digest = warc["WARC-Payload-Digest"].removeprefix("sha1:")
                     if warc["WARC-Type"] == "response" and payload_digest(payload) != digest:
                         raise ValueError(f"{name}: the payload at {at} does not have its digest")
-                    rows.append((name, at, n, whole(warc.get(ROW)), warc["WARC-Record-ID"], warc["WARC-Type"], int(http["Content-Length"]), digest, whole(warc.get(REFERS_ROW))))
+                    rows.append((name, at, n, whole(warc.get(ROW)), warc["WARC-Record-ID"], warc["WARC-Type"], int(http["Content-Length"]), digest, whole(warc.get(REFERS_ROW)), warc.get("WARC-Target-URI"), warc["WARC-Date"]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
@@ -166,13 +167,13 @@ def read_records(manifest: DataFrame) -> DataFrame:
 
 
 def resolve(headers: DataFrame, uri: str, least: int = 0) -> DataFrame:
-    """headers (a written table) with record_type, refers_to and refers_record decided anew."""
-    place = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "path", "offset", "record_id")
+    """headers (a written table) with record_type and what a revisit refers to decided anew."""
+    place = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "path", "offset", "record_id", "target", "date")
     firsts = materialize(headers.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min(place).alias("first"), F.count("*").alias("n")), f"{uri}/firsts")
     plain = headers.drop("record_type", "refers_to")
     joined = skew_join(plain, firsts, "payload_digest", "n", ["path", "offset"])
     again = (F.col("payload_bytes") >= least) & ~((F.col("first.path") == F.col("path")) & (F.col("first.offset") == F.col("offset")))
-    return joined.select(*plain.columns, F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first.page_id")).alias("refers_to"), F.when(again, F.col("first.record_id")).alias("refers_record"))
+    return joined.select(*plain.columns, F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first.page_id")).alias("refers_to"), *[F.when(again, F.col(f"first.{c}")).alias(n) for c, n in (("record_id", "refers_record"), ("target", "refers_target"), ("date", "refers_date"))])
 
 
 def write_deduplicated(resolved: DataFrame, uri: str) -> DataFrame:
@@ -196,7 +197,7 @@ def write_deduplicated(resolved: DataFrame, uri: str) -> DataFrame:
                 kind = row["record_type"]
                 fields = [("WARC-Record-ID", record_id(kind, warc["WARC-Record-ID"])), ("WARC-Date", warc["WARC-Date"]), ("WARC-Target-URI", warc.get("WARC-Target-URI")), ("WARC-Payload-Digest", warc["WARC-Payload-Digest"]), (ROW, warc.get(ROW))]
                 if kind == "revisit":
-                    fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id("response", row["refers_record"])), (REFERS_ROW, row["refers_to"])]
+                    fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id("response", row["refers_record"])), ("WARC-Refers-To-Target-URI", row["refers_target"]), ("WARC-Refers-To-Date", row["refers_date"]), (REFERS_ROW, row["refers_to"])]
                 archives.add(record(kind, fields, int(http["Content-Length"]), payload if kind == "response" else None))
         if source is not None:
             source.close()

@@ -39,6 +39,7 @@ def test_warc_round_trip(spark):
         assert all(r.refers_to is None for r in g if r.record_type == "response")
         assert len({r.payload_bytes for r in g}) == 1
     assert {r.page_id: r.payload_bytes for r in rows}[9] == 18000
+    assert len({r.record_id for r in rows}) == len(rows)
     assert warc.deduplicate_pages(df, least=4).where("record_type = 'revisit'").count() == 0
     assert warc.deduplicate_pages(df.limit(0)).count() == 0
 
@@ -100,15 +101,45 @@ def test_matroska_uneven_frames_and_unknown_size():
         assert {(r[0], r[1], r[4]) for r in rows} == {(2, 12_000_000, lacing)}
 
 
-def test_matroska_digests(docs):
-    rows = {(r.doc_id, r.payload_sha256) for r in matroska.payload_digests(matroska.with_media(docs)).collect()}
-    want = set()
+def test_matroska_digests(spark, docs):
+    """Every column from the texts and the stored bytes alone."""
+    media = docs.sparkSession.createDataFrame(matroska.with_media(docs).collect(), "doc_id long, n_bytes long, media binary")
+    stored = defaultdict(list)
+    for r in media.collect():
+        stored[r.doc_id].append(bytes(r.media))
+    got = defaultdict(list)
+    for r in matroska.payload_digests(media).collect():
+        got[r.doc_id].append(tuple(r))
+    features = defaultdict(set)
     for r in docs.collect():
-        n, payload = matroska.padded(r.text or "")
-        assert len(payload) % 576 == 0 and payload[:n] == (r.text or "").encode()
-        want.add((r.doc_id, hashlib.sha256(payload).hexdigest()))
-    assert rows == want
+        raw = (r.text or "").encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        n = len(payload) // 576
+        for file, row in zip(stored[r.doc_id], got[r.doc_id], strict=True):
+            feature = dict(x.split("=") for x in row[7].split(";"))
+            if row[3] != hashlib.sha256(payload).hexdigest():
+                continue  # another row of that id
+            assert row[:7] == (r.doc_id, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(file), hashlib.sha256(file).hexdigest())
+            assert int(feature["packets"]) == n and int(feature["last_ns"]) == (n - 1) * 12_000_000 and feature["tracks"] == "1"
+            at = 0
+            for k in range(n):  # the frames lie in the file, in order
+                at = file.index(payload[576 * k : 576 * k + 576], at) + 576
+            assert int(feature["last_at"]) + 576 == at
+            features[payload].add(row[4:])
+            break
+        else:
+            raise AssertionError(r.doc_id)
+    assert all(len(x) == 1 for x in features.values())
     assert matroska.packets(matroska.with_media(docs)).where("doc_id = 9").count() == -(-10000 // 576)
+    assert matroska.payload_digests(matroska.with_media(docs.limit(0))).count() == 0
+
+
+def test_matroska_refuses_what_leaves_its_parent():
+    inner = matroska.element(matroska.SIMPLE_BLOCK, b"\x81" + bytes(50))
+    cluster = matroska.element(matroska.CLUSTER, inner)
+    bad = cluster[:-len(inner)].replace(bytes([cluster[-len(inner) - 1]]), bytes([cluster[-len(inner) - 1] - 9])) + inner + bytes(40)
+    with pytest.raises(ValueError, match="parent"):
+        list(matroska.elements(bad, 0, len(bad)))
 
 
 def slow_fingerprint(text):
