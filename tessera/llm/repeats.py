@@ -65,21 +65,6 @@ WORD_BYTES = 4
 BASE = 6364136223846793005
 
 
-class Codes(dict):
-    """The codes of words, remembered for up to 200,000 words."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        import xxhash
-
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = code = xxhash.xxh32_digest(word)
-        return code
-
-
-_CODES = Codes()
-
-
 @dataclass(frozen=True)
 class Symbols:
     """What a text is a sequence of, and when strings of it repeat.
@@ -103,12 +88,13 @@ class Symbols:
     def kind(self) -> type:
         return np.uint32 if self.words else np.uint8
 
-    def encode(self, text: str) -> bytes:
+    def encode(self, text: str, powers: Powers) -> bytes:
         raw = text.encode("utf-8", "surrogatepass")
-        return b"".join(map(_CODES.__getitem__, raw.split())) if self.words else raw
+        return word_codes(raw, powers) if self.words else raw
 
 
 PASSAGES = Symbols(PASSAGE_WORDS, PASSAGE_GRAM, True)
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 class Powers:
@@ -120,6 +106,27 @@ class Powers:
         self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+def word_codes(raw: bytes, powers: Powers) -> bytes:
+    """WORD_BYTES bytes for each word of a text: the upper half of a polynomial over the word's bytes, mixed."""
+    data = np.frombuffer(raw, np.uint8)
+    blank = np.r_[True, BLANK[data], True]
+    starts, stops = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
+    out, at = [], 0
+    while at < len(starts):  # whole words of about PIECE bytes
+        upto = max(at + 1, int(np.searchsorted(stops, starts[at] + PIECE, "right")))
+        lengths = stops[at:upto] - starts[at:upto]
+        first = np.r_[0, np.cumsum(lengths)[:-1]]
+        letters = data[starts[at] : stops[upto - 1]]
+        letters = letters[~BLANK[letters]]
+        place = (np.arange(len(letters)) - np.repeat(first, lengths)) % PIECE
+        h = np.add.reduceat((letters + np.uint64(1)) * powers.up[place], first)
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        out.append((h >> np.uint64(32)).astype(np.uint32))
+        at = upto
+    return np.concatenate(out).tobytes() if out else b""
+
+
 def gram_hashes(raw: np.ndarray, powers: Powers, gram: int) -> np.ndarray:
     """A hash of each substring of ``gram`` bytes, from one running sum."""
     n = len(raw)
@@ -176,7 +183,7 @@ def _keys(of: Symbols):
                 if digest in seen:
                     continue
                 seen.add(digest)
-                data = of.encode(text.as_py())
+                data = of.encode(text.as_py(), powers)
                 if len(data) < of.length * of.width:
                     continue
                 found, n = np.unique(anchors(data, powers, of.length, of.gram, of.kind)[0], return_counts=True)
@@ -197,13 +204,13 @@ def _packed(of: Symbols):
     def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        squeeze, seen = zstandard.ZstdCompressor(level=1), set()
+        squeeze, powers, seen = zstandard.ZstdCompressor(level=1), Powers(), set()
         for batch in batches:
             rows = []
             for digest, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if digest not in seen:
                     seen.add(digest)
-                    rows.append((digest, squeeze.compress(of.encode(text.as_py()))))
+                    rows.append((digest, squeeze.compress(of.encode(text.as_py(), powers))))
             if rows:
                 digests, packed = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(packed, pa.binary())], names=["text", "packed"])
