@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 from math import prod
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.dtypes import checked, dtype, dtype_of_spark, require_dtype, supported_numpy
 from tessera.functions.indexing import coordinate, flat_index, index_range, strides
-from tessera.operators.slicing import slice_cells
+from tessera.operators.slicing import flat_ranges, merged_runs, normalize, slice_cells
 
 #: Cells that to_numpy and the iterators may bring to the driver, unless forced.
 MOST_COLLECTED = 1 << 27
@@ -187,10 +189,42 @@ def from_table(table: DataFrame, index: str | Column, value: str | Column, shape
     return ArrayFrame(cells, as_shape(shape), name or dtype_of_spark(cells.schema["value"].dataType.simpleString()))
 
 
+@dataclass(frozen=True)
+class VectorFrame(ArrayFrame):
+    """An array whose cells come from one row per vector: slices ask the table only for the rows that they touch."""
+
+    table: DataFrame
+    index: str
+    vector: str
+    width: int
+
+    def reshape(self, shape: int | Sequence[int]) -> ArrayFrame:
+        return replace(self, shape=super().reshape(shape).shape)
+
+    def _rows(self, runs: Sequence[tuple[int, int]]) -> ArrayFrame:
+        """The same array with the cells of the rows in some runs of rows only."""
+        keep = reduce(or_, [F.col(self.index).between(a, b) for a, b in runs])
+        return ArrayFrame(_vector_cells(self.table.where(keep), self.index, self.vector, self.width), self.shape, self.dtype)
+
+    def slice(self, slices: Sequence, allow_nd: bool = False) -> ArrayFrame:
+        if not self.size:
+            return super().slice(slices, allow_nd)
+        checked_ = normalize(self.shape, slices, allow_nd)
+        return self._rows(merged_runs([(a // self.width, b // self.width) for a, b in flat_ranges(self.shape, checked_)])).slice(slices, allow_nd)
+
+    def flat(self, k: int) -> DataFrame:
+        return (self._rows([(k // self.width, k // self.width)]) if 0 <= k < self.size else super()).flat(k)
+
+
+def _vector_cells(table: DataFrame, index: str, vector: str, width: int) -> DataFrame:
+    cells = table.select(F.col(index).cast("bigint").alias("_i"), F.posexplode(vector).alias("_p", "value"))
+    return cells.select((F.col("_i") * F.lit(width).cast("bigint") + F.col("_p")).cast("bigint").alias("idx"), "value")
+
+
 def from_vectors(table: DataFrame, index: str, vector: str, rows: int, width: int) -> ArrayFrame:
     """A column of equally long vectors as an array of rows x width."""
-    cells = table.select(F.col(index).cast("bigint").alias("_i"), F.posexplode(vector).alias("_p", "value"))
-    return from_table(cells, F.col("_i") * F.lit(width).cast("bigint") + F.col("_p"), "value", (rows, width))
+    cells = _vector_cells(table, index, vector, width)
+    return VectorFrame(cells, as_shape((rows, width)), dtype_of_spark(cells.schema["value"].dataType.simpleString()), table, index, vector, width)
 
 
 def dumps(array: ArrayFrame, most: int = 1 << 28) -> bytes:

@@ -125,8 +125,7 @@ def flatten_json(docs: DataFrame) -> DataFrame:
         objects = rows.where("kind like 'OBJECT%'")
         if objects.isEmpty():
             return leaves
-        objects.createOrReplaceTempView("tessera_objects")
-        rows = objects.sparkSession.sql("select o.id, concat_ws('/', o.key, e.key) as key, e.value as value from tessera_objects o, lateral variant_explode(o.value) e")
+        rows = objects.sparkSession.sql("select o.id, concat_ws('/', o.key, e.key) as key, e.value as value from {objects} o, lateral variant_explode(o.value) e", objects=objects)
 
 
 def element_dtype(kind: Column) -> Column:

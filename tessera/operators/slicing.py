@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from math import prod
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.indexing import coordinate, strides
@@ -123,22 +123,34 @@ def slice_cells(cells: DataFrame, shape: Sequence[int], slices: Sequence, allow_
     return kept.select(out_index(F.col("idx"), shape, checked).alias("idx"), "value"), tuple(len(s) for s in checked)
 
 
-def block_map(shape: Sequence[int], slices: Sequence, elements_per_block: int) -> list[int]:
-    """The numbers of the blocks that hold the slice's implied ranges."""
+def block_ranges(shape: Sequence[int], slices: Sequence, elements_per_block: int) -> list[tuple[int, int]]:
+    """The blocks that hold the slice's implied ranges, as (first, last) runs: MOST_RUNS at most, however many blocks."""
     if elements_per_block < 1:
         raise ValueError("the block is too small for an element")
-    found: set[int] = set()
-    for a, b in flat_ranges(shape, normalize(shape, slices, True)):
-        found.update(range(a // elements_per_block, b // elements_per_block + 1))
-    return sorted(found)
+    return merged_runs([(a // elements_per_block, b // elements_per_block) for a, b in flat_ranges(shape, normalize(shape, slices, True))])
+
+
+def merged_runs(runs: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(first, last) runs in order, with those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def blocks_of(spark: SparkSession, runs: Sequence[tuple[int, int]]) -> DataFrame:
+    """(block_id) of the blocks of some runs; only the runs are on the driver."""
+    return spark.createDataFrame(list(runs), "first bigint, last bigint").select(F.explode(F.sequence("first", "last")).alias("block_id"))
+
+
+def block_map(shape: Sequence[int], slices: Sequence, elements_per_block: int) -> list[int]:
+    """The numbers of those blocks, for small slices."""
+    return [b for first, last in block_ranges(shape, slices, elements_per_block) for b in range(first, last + 1)]
 
 
 def block_runs(blocks: Sequence[int]) -> list[tuple[int, int]]:
     """Neighbouring blocks as (first, last) runs, each one read."""
-    runs: list[tuple[int, int]] = []
-    for b in sorted(set(blocks)):
-        if runs and b == runs[-1][1] + 1:
-            runs[-1] = (runs[-1][0], b)
-        else:
-            runs.append((b, b))
-    return runs
+    return merged_runs([(b, b) for b in set(blocks)])

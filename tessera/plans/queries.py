@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 from math import prod
@@ -12,10 +13,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.indexing import byte_planes, from_byte_planes
 from tessera.operators import codec, convert, inspect, layers, metadata
-from tessera.operators.array import ArrayFrame, arange, from_table, from_vectors, full, ones, zeros
-from tessera.operators.slicing import block_map as slice_blocks
-from tessera.operators.slicing import block_runs, predicate, normalize
-from tessera.sources.dataset import Config, create, open_dataset
+from tessera.operators.array import ArrayFrame, arange, from_numpy, from_table, from_vectors, full, ones, zeros
+from tessera.operators.slicing import block_ranges, blocks_of, merged_runs, normalize, predicate
+from tessera.sources.dataset import Config, Dataset, create, open_dataset
 from tessera.sources.paths import host_of, store_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,7 +102,11 @@ def slice_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
     return f"{base.rstrip('/')}/{name}-{uuid4().hex}"
 
 
@@ -115,6 +119,32 @@ def stored_slice_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return open_dataset(spark, path).get_slice("totals", [(200, 1200, 3)]).cells
 
 
+def _stored_vectors(spark: SparkSession, sf_dir: str, codec: str, *shape: int) -> Dataset:
+    path = stored(spark, "vectors")
+    with create(spark, path, Config(codec=codec, block_bytes=8192)) as ds:
+        ds.put("vectors", vectors(spark, sf_dir, *shape))
+    return open_dataset(spark, path)
+
+
+@query("SELECT CAST((i0 - 30) // 4 * 16 + i1 - 8 AS BIGINT) AS idx, value FROM (" + _VECTORS + ") WHERE i0 >= 30 AND i0 < 60 AND i1 >= 8 AND i1 < 24 AND (i0 - 30) % 4 = 0")
+def stored_slice_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored_vectors(spark, sf_dir, "lz4").get_slice("vectors", [(30, 60, 4), (8, 24)]).cells
+
+
+@query("SELECT CAST((i0 - 10) * 10 + (i1 - 2) * 2 + (i2 - 3) // 3 AS BIGINT) AS idx, value FROM (" + _CUBE + ") WHERE i0 >= 10 AND i0 < 40 AND i1 >= 2 AND i1 < 7 AND i2 >= 3 AND (i2 - 3) % 3 = 0")
+def stored_slice_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored_vectors(spark, sf_dir, "gzip", 8, 8).get_slice("vectors", [(10, 40), (2, 7), (3, 8, 3)]).cells
+
+
+def _stored_codec(codec: str) -> None:
+    """All vectors, stored under a codec and read back."""
+    query(f"SELECT idx, value FROM ({_VECTORS})", f"stored_{codec}")(lambda spark, d: _stored_vectors(spark, d, codec)["vectors"].cells)
+
+
+for _codec in codec.PARQUET:
+    _stored_codec(_codec)
+
+
 # single cells, scans, shapes, factories
 
 
@@ -196,8 +226,7 @@ def block_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT DISTINCT idx // 128 AS block_id FROM ({_ORDERS}) WHERE idx >= 300 AND idx < 900")
 def block_prune_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = slice_blocks(totals(spark, sf_dir).shape, [(300, 900)], 128)
-    return spark.createDataFrame([(b,) for b in blocks], "block_id bigint")
+    return blocks_of(spark, block_ranges(totals(spark, sf_dir).shape, [(300, 900)], 128))
 
 
 @query(f"SELECT DISTINCT idx // 512 AS block_id FROM ({_VECTORS}) WHERE i0 >= 30 AND i0 < 60 AND i1 >= 8 AND i1 < 24 AND i0 % 4 = 2")
@@ -214,8 +243,8 @@ WITH b AS (SELECT DISTINCT idx // 64 AS b FROM ({_VECTORS}) WHERE i0 >= 4 AND i0
 SELECT min(b) AS first, max(b) AS last FROM g GROUP BY g""")
 def coalesced_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = vectors(spark, sf_dir).shape
-    blocks = [b for k in range(4, 40, 9) for b in slice_blocks(shape, [(k, k + 2)], 64)]
-    return spark.createDataFrame(block_runs(blocks), "first bigint, last bigint")
+    runs = [run for k in range(4, 40, 9) for run in block_ranges(shape, [(k, k + 2)], 64)]
+    return spark.createDataFrame(merged_runs(runs), "first bigint, last bigint")
 
 
 @query("SELECT CAST(p AS BIGINT) AS plane, CAST(o_orderkey AS BIGINT) AS idx, (CAST(o_custkey AS BIGINT) >> CAST(8 * p AS BIGINT)) & 255 AS byte FROM orders, range(8) r(p)")
@@ -251,10 +280,18 @@ WITH sized(layer, key, dtype, n, elem_size, codec, block_bytes, sliceable, ord)
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A catalog of arrays over the driver's tables, one row per array."""
-    n, m = load(spark, sf_dir, "orders").count(), load(spark, sf_dir, "embeddings").count()
-    rows = [("totals", "float64", [n], 8, "lz4", 4096, True), ("vectors", "float32", [m, 64], 4, "lz4_shuffle", 1 << 20, False), ("cube", "float32", [m, 8, 8], 4, "lz4", 4096, True), ("scalar", "float64", [], 8, "none", 4096, True)]
-    return spark.createDataFrame([("__base__", *r, k) for k, r in enumerate(rows)], "layer string, key string, dtype string, shape array<bigint>, elem_size int, codec string, block_bytes bigint, sliceable boolean, ord bigint")
+    """The catalog of a dataset with arrays from the driver's tables, stored and opened again."""
+    path, all_vectors = stored(spark, "catalog"), vectors(spark, sf_dir)
+    with create(spark, path) as ds:
+        for key, array, config in (
+            ("totals", totals(spark, sf_dir), Config("lz4", 4096)),
+            ("vectors", all_vectors, Config("lz4_shuffle", 1 << 20)),
+            ("cube", all_vectors.reshape((all_vectors.shape[0], 8, 8)), Config("lz4", 4096)),
+            ("scalar", from_numpy(spark, 2.5), Config("none", 4096)),
+        ):
+            ds.config = config
+            ds.put(key, array)
+    return open_dataset(spark, path).catalog()
 
 
 @query(_CATALOG + "SELECT count(*) AS n_keys, CAST(sum(n) AS BIGINT) AS n_elements, CAST(sum(n * elem_size) AS BIGINT) AS n_bytes FROM sized")
@@ -296,10 +333,17 @@ def preview_100(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = load(spark, sf_dir, "nation")
-    base = n.select(F.lit("__base__").alias("layer"), F.col("n_name").alias("key"), F.col("n_nationkey").cast("bigint").alias("value"))
-    r = load(spark, sf_dir, "region")
-    return base.unionByName(r.select(F.lit("regions").alias("layer"), F.col("r_name").alias("key"), (F.col("r_regionkey") + 100).cast("bigint").alias("value"))).unionByName(base.where("value < 5").select(F.lit("regions").alias("layer"), "key", (F.col("value") + 1000).alias("value")))
+    """The metadata table of a dataset with a layer, stored and opened again; its values are those of two small tables."""
+    path = stored(spark, "metadata")
+    with create(spark, path) as ds:
+        ds.create_layer("regions")
+        for r in load(spark, sf_dir, "nation").select("n_name", F.col("n_nationkey").cast("bigint").alias("k")).collect():
+            ds.meta.put(r.n_name, r.k)
+            if r.k < 5:
+                ds.get_layer("regions").meta.put(r.n_name, r.k + 1000)
+        for r in load(spark, sf_dir, "region").select("r_name", F.col("r_regionkey").cast("bigint").alias("k")).collect():
+            ds.get_layer("regions").meta.put(r.r_name, r.k + 100)
+    return open_dataset(spark, path).metadata_table().select("layer", "key", F.col("v.i")[0].alias("value"))
 
 
 _META = """

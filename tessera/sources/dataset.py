@@ -24,20 +24,22 @@ from pyspark.sql import functions as F
 from tessera.functions.dtypes import dtype
 from tessera.operators import inspect as inspection
 from tessera.operators.array import ArrayFrame, from_numpy
-from tessera.operators.codec import DEFAULT_BLOCK, elements_per_block, parquet_codec, uses_shuffle
+from tessera.operators.codec import DEFAULT_BLOCK, PLANES, elements_per_block, pack_planes, parquet_codec, unpack_planes, uses_shuffle
 from tessera.operators.metadata import BASE, MetaValue
 
 PACK = 1 << 16
 FILE_BYTES = 1 << 27
 BYTES_LIMIT = 1 << 28
-FORMAT = 1
+FORMAT = 2
 STATE = "kind string, layer string, key string, ord bigint, dtype string, shape array<bigint>, codec string, block_bytes bigint, path string, array_id bigint, v struct<i:array<bigint>,u:array<decimal(20,0)>,f:array<float>,d:array<double>,s:array<string>>, format int, n_rows bigint"
 READ, WRITE = ("r", "read"), ("w", "write", "rw", "a")
 
 
 @dataclass(frozen=True)
 class Config:
-    """How arrays are stored. Shuffled codecs, the default among them, compress better and can't be sliced."""
+    """How arrays are stored. Shuffled codecs, the default among them, store the byte planes of whole blocks: numbers
+    compress better, and no slice can be pushed down to them, so they are not sliced.
+    """
 
     codec: str = "lz4_shuffle"
     block_bytes: int = DEFAULT_BLOCK
@@ -60,6 +62,12 @@ class Entry:
         return int(np.prod(self.shape, dtype=np.int64)) if self.shape else 1
 
 
+    @property
+    def in_planes(self) -> bool:
+        """Whether it is stored as blocks of byte planes; texts have no fixed size and never are."""
+        return uses_shuffle(self.codec) and self.dtype != "string"
+
+
 class Metadata:
     """A layer's small values, like a dict."""
 
@@ -201,6 +209,11 @@ class Dataset:
         if e.pending is not None:
             array = e.pending
         else:
+            if e.in_planes:
+                blocks = self.spark.read.schema(PLANES).parquet(f"{self.root}/{e.path}").where(F.col("array_id") == e.array_id)
+                cells = blocks.mapInArrow(unpack_planes(e.dtype, elements_per_block(e.block_bytes, e.dtype)), f"array_id bigint, idx bigint, value {dtype(e.dtype).spark}")
+                array = ArrayFrame(cells.select("idx", "value"), e.shape, e.dtype)
+                return array.typed(name) if name else array
             cells = self.spark.read.schema(f"array_id bigint, idx bigint, value {dtype(e.dtype).spark}").parquet(f"{self.root}/{e.path}")
             array = ArrayFrame(cells.where(F.col("array_id") == e.array_id).select("idx", "value"), e.shape, e.dtype)
         return array.typed(name) if name else array
@@ -302,8 +315,12 @@ class Dataset:
             frames = [frames[i].unionByName(frames[i + 1]) if i + 1 < len(frames) else frames[i] for i in range(0, len(frames), 2)]
         n_bytes = sum(e.size * max(16, dtype(e.dtype).size) for e, _ in arrays)
         files = max(1, -(-n_bytes // FILE_BYTES))
-        dealt = frames[0].repartitionByRange(files, "array_id", "idx") if files > 1 else frames[0].coalesce(1)
-        dealt.sortWithinPartitions("array_id", "idx").write.option("compression", parquet_codec(codec)).option("parquet.block.size", block_bytes).parquet(f"{self.root}/{path}")
+        planes, per_block = arrays[0][0].in_planes, elements_per_block(block_bytes, arrays[0][0].dtype)
+        place = F.call_function("div", F.col("idx"), F.lit(per_block).cast("bigint")) if planes else F.col("idx")  # whole blocks stay together
+        dealt = (frames[0].repartitionByRange(files, F.col("array_id"), place) if files > 1 else frames[0].coalesce(1)).sortWithinPartitions("array_id", "idx")
+        if planes:
+            dealt = dealt.mapInArrow(pack_planes(arrays[0][0].dtype, per_block), PLANES)
+        dealt.write.option("compression", parquet_codec(codec)).option("parquet.block.size", block_bytes).parquet(f"{self.root}/{path}")
 
     def flush(self) -> None:
         """Write what has changed; no-op when nothing has."""
@@ -336,8 +353,13 @@ class Dataset:
                 _, _, name, shape, slots = v.row(layer, k)
                 rows.append(("meta", layer, k, None, name, shape, None, None, None, None, slots))
         table = self.spark.createDataFrame([(*r, FORMAT, len(rows)) for r in rows], STATE)
+        try:
+            table.coalesce(1).write.mode("errorifexists").parquet(f"{self.root}/state/version={self.version + 1}")
+        except AnalysisException as e:
+            if "PATH_ALREADY_EXISTS" not in str(e):
+                raise
+            raise RuntimeError(f"{self.root}: another writer has flushed version {self.version + 1}; open it again and repeat the changes") from e
         self.version += 1
-        table.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/state/version={self.version}")
 
     def close(self) -> None:
         if not self.read_only and self.root is not None:

@@ -16,8 +16,7 @@ FILL = {"int64": 0, "float64": 0.0, "string": ""}
 
 def _elements(arrays: DataFrame) -> DataFrame:
     """arrays(key, value) as (key, pos, value, kind), one row per element."""
-    arrays.createOrReplaceTempView("tessera_arrays")
-    return arrays.sparkSession.sql("select a.key, cast(e.pos as bigint) as pos, e.value, schema_of_variant(e.value) as kind from tessera_arrays a, lateral variant_explode(a.value) e")
+    return arrays.sparkSession.sql("select a.key, cast(e.pos as bigint) as pos, e.value, schema_of_variant(e.value) as kind from {arrays} a, lateral variant_explode(a.value) e", arrays=arrays)
 
 
 def _store(ds: Dataset, key: str, array: ArrayFrame, threshold: int) -> None:
@@ -79,8 +78,7 @@ def _put_simple(ds: Dataset, text: DataFrame, threshold: int) -> None:
 
 def _put_structured(ds: Dataset, text: DataFrame) -> None:
     """The envelope of dtype, shape and flat data for each key."""
-    text.createOrReplaceTempView("tessera_document")
-    keys = text.sparkSession.sql("select e.key, e.value from tessera_document d, lateral variant_explode(variant_get(parse_json(d.text), '$.arrays')) e")
+    keys = text.sparkSession.sql("select e.key, e.value from {text} d, lateral variant_explode(variant_get(parse_json(d.text), '$.arrays')) e", text=text)
     told = keys.select("key", F.variant_get("value", "$.dtype", "string").alias("dtype"), F.variant_get("value", "$.shape", "array<bigint>").alias("shape")).collect()
     data = _elements(keys.select("key", F.variant_get("value", "$.data", "variant").alias("value")))
     for row in told:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions.dtypes import checked, dtype
 from tessera.operators.array import ArrayFrame, as_shape
 from tessera.operators.codec import DEFAULT_BLOCK, elements_per_block
-from tessera.operators.slicing import block_map, block_runs, slice_cells
+from tessera.operators.slicing import block_ranges, slice_cells
 from tessera.sources.paths import parse_path
 
 #: A run of neighbouring blocks is one request, up to this many bytes.
@@ -63,8 +63,10 @@ def open_ranged(spark: SparkSession, url: str, shape: int | Sequence[int], name:
         raise TypeError("strings have no fixed size")
     n, per_block = int(np.prod(shape)), elements_per_block(block_bytes, name)
     most = max(1, REQUEST_BYTES // (per_block * size))
-    runs = [(b * per_block, (min(b + most - 1, last) + 1) * per_block) for first, last in block_runs(block_map(shape, slices, per_block)) for b in range(first, last + 1, most)]
-    asked = spark.createDataFrame(runs, "first bigint, last bigint").repartition(max(1, min(len(runs), spark.sparkContext.defaultParallelism)))
+    runs = spark.createDataFrame(block_ranges(shape, slices, per_block), "a bigint, b bigint")
+    runs = runs.select("b", F.explode(F.sequence("a", "b", F.lit(most).cast("bigint"))).alias("block"))
+    end = F.least(F.col("block") + F.lit(most), F.col("b") + F.lit(1))
+    asked = runs.select((F.col("block") * per_block).alias("first"), (end * per_block).alias("last")).repartition(spark.sparkContext.defaultParallelism)
     cells = asked.mapInArrow(_cells(url, name, n), f"idx bigint, value {dtype(name).spark}")
     cells = cells.select("idx", checked(F.col("value"), name).alias("value"))
     return ArrayFrame(*slice_cells(cells, shape, slices), name)

@@ -212,3 +212,31 @@ def test_streams(spark, tmp_path):
     assert spark.table("blocks").agg(F.sum("n")).first()[0] == 100
     twice = spark.createDataFrame([(1, 5, 1), (1, 6, 2), (2, 7, 1)], "idx long, value long, seq int")
     assert {(r.idx, r.value) for r in latest_cells(twice, "seq").collect()} == {(1, 6), (2, 7)}
+
+
+@pytest.mark.parametrize("name", ["int8", "uint16", "int32", "uint64", "float32", "float64"])
+def test_shuffled_arrays_are_stored_as_planes(spark, tmp_path, name):
+    """Blocks of byte planes, smaller than plain cells for slowly growing numbers, and the same values back."""
+    values = (np.arange(70_000) // 3 % 120).astype(name)
+    for name_ in ("lz4", "lz4_shuffle"):
+        with tessera.create(spark, f"file://{tmp_path}/{name_}", tessera.Config(codec=name_, block_bytes=4096)) as ds:
+            ds["x"], ds["y"] = values, values[:5000].reshape(50, 100)
+        ds = tessera.open_dataset(spark, f"file://{tmp_path}/{name_}")
+        assert (ds["x"].to_numpy() == values).all() and (ds["y"].to_numpy() == values[:5000].reshape(50, 100)).all()
+        path = ds._entries["__base__", "x"].path
+        kept = spark.read.parquet(f"file://{tmp_path}/{name_}/{path}")
+        if name_ == "lz4_shuffle":
+            per_block = 4096 // values.itemsize
+            assert kept.columns == ["array_id", "block", "n", "planes"] and kept.count() == -(-70_000 // per_block)
+            first = bytes(kept.where("block = 1").first().planes)
+            assert first == values[per_block : 2 * per_block].view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def test_two_writers_do_not_overwrite_each_other(spark, tmp_path):
+    tessera.create(spark, f"file://{tmp_path}/d").flush()
+    one, two = (tessera.open_dataset(spark, f"file://{tmp_path}/d", "w") for _ in range(2))
+    one.meta["a"], two.meta["b"] = 1, 2
+    one.flush()
+    with pytest.raises(RuntimeError, match="another writer"):
+        two.flush()
+    assert tessera.open_dataset(spark, f"file://{tmp_path}/d").meta.keys() == ["a"]

@@ -8,6 +8,7 @@ import tessera
 from tessera.functions.runtime import get_tasks, plan_of, set_tasks, tasks_for
 from tessera.operators import layers, metadata
 from tessera.operators.array import from_table
+from tessera.plans import queries
 
 
 @pytest.fixture(scope="module")
@@ -52,3 +53,9 @@ def test_tasks(spark):
     assert tasks_for(0) == 1 and tasks_for((1 << 27) + 1) == 2
     with pytest.raises(ValueError):
         set_tasks(spark, -1)
+
+
+def test_vector_slices_read_only_their_rows(spark):
+    """The row range is pushed to the scan, below the explode."""
+    plan = queries.QUERIES["slice_2d_sub"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(vec_id,10)" in plan and "LessThanOrEqual(vec_id,19)" in plan
