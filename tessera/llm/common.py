@@ -54,7 +54,7 @@ def cleaned(spark: SparkSession) -> Iterator[None]:
 
 def materialize(df: DataFrame, uri: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage and survives lost executors."""
-    df.write.parquet(uri)
+    df.write.option("compression", "zstd").parquet(uri)
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
