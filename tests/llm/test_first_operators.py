@@ -203,6 +203,34 @@ def test_components_of_a_long_path_and_a_hub(spark):
     assert {r.node: r.root for r in rows} == {i: 0 for i in path} | {1000 + i: 1000 for i in range(300)}
 
 
+def test_components_over_many_tasks(spark, monkeypatch):
+    rng = random.Random(4)
+    edges = [(rng.randrange(3000), rng.randrange(3000)) for _ in range(1400)] + [(5000 + i, 5001 + i) for i in range(300)] + [(-7, 9000 + i) for i in range(300)] + [(-(1 << 62), 1 << 62)] * 3
+    monkeypatch.setattr(graph, "TASK_EDGES", 40)
+    monkeypatch.setattr(graph, "_are_stars", lambda df, real=graph._are_stars, seen=(seen := []): seen.append(real(df)) or seen[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    try:
+        rows = graph.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(13)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    nodes = sorted({x for a, b in edges if a != b for x in (a, b)})
+    assert len(rows) == len(nodes) and {r.node: r.root for r in rows} == union_find(nodes, edges)
+    assert seen[-1] and len(seen) > 1  # the tasks' stars alone were not enough
+    assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_spanning_stars():
+    rng = random.Random(6)
+    for n in (0, 1, 5, 200):
+        edges = [(rng.randrange(-n - 1, n + 1), rng.randrange(n + 1)) for _ in range(n)]
+        a, b = (np.array([e[k] for e in edges], np.int64) for k in (0, 1))
+        node, root = graph.spanning_stars(a, b)
+        want = union_find(sorted({x for e in edges for x in e}), edges)
+        assert dict(zip(node.tolist(), root.tolist(), strict=True)) == {x: r for x, r in want.items() if x != r}
+
+
 def test_systematic_mix(spark, docs):
     rows = systematic.mix(docs).collect()
     assert len(rows) == docs.count()
